@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import conversations
+from folioscale.llm import conversations, lookalikes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": conversations.p1_found}
+    return {"p1_found": conversations.p1_found, "p3_found": lookalikes.p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": conversations.P1_SQL}
+    return {"p1_found": conversations.P1_SQL, "p3_found": lookalikes.p3_sql()}
