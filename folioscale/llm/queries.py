@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import conversations, lookalikes
+from folioscale.llm import conversations, lookalikes, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": conversations.p1_found, "p3_found": lookalikes.p3_found}
+    return {
+        "p1_found": conversations.p1_found,
+        "p3_found": lookalikes.p3_found,
+        "p5_found": splitting.p5_found,
+        "p5_pieces": splitting.p5_pieces,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": conversations.P1_SQL, "p3_found": lookalikes.p3_sql()}
+    return {"p1_found": conversations.P1_SQL, "p3_found": lookalikes.p3_sql(), "p5_found": splitting.P5_SQL}
