@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="folioscale-checkpoint-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(named)
     return named
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once per application; they need no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_folioscale_shipped", None) != sc.applicationId:
+        here = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="folioscale-")) / "folioscale.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(here.rglob("*.py")):
+                out.write(path, path.relative_to(here.parent))
+        sc.addPyFile(str(archive))
+        sc._folioscale_shipped = sc.applicationId
+    return spark
