@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import conversations, lookalikes, splitting
+from folioscale.llm import conversations, leaks, lookalikes, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lookalikes.p3_found,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
+        "p7_found": leaks.p7_found,
+        "p7_leaks": leaks.p7_leaks,
     }
 
 
