@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import conversations, leaks, lookalikes, splitting
+from folioscale.llm import conversations, leaks, lookalikes, repetition, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": splitting.p5_pieces,
         "p7_found": leaks.p7_found,
         "p7_leaks": leaks.p7_leaks,
+        "p9_found": repetition.p9_found,
+        "p9_shares": repetition.p9_shares,
     }
 
 
