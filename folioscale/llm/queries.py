@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import conversations, leaks, lookalikes, repetition, splitting
+from folioscale.llm import conversations, leaks, lookalikes, markup, mixing, repetition, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": conversations.p1_found,
+        "p2_found": markup.p2_found,
         "p3_found": lookalikes.p3_found,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
         "p7_found": leaks.p7_found,
         "p7_leaks": leaks.p7_leaks,
+        "p8_mix": mixing.p8_mix,
+        "p8_shares": mixing.p8_shares,
         "p9_found": repetition.p9_found,
         "p9_shares": repetition.p9_shares,
     }

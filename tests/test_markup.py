@@ -1,0 +1,25 @@
+import pytest
+from pyspark.sql import functions as F
+
+from folioscale.llm import queries
+from folioscale.llm.markup import marked
+from folioscale.session import local_session
+
+MARKUP = ["<b>x</b>", "a<!-- c -->", "A &amp; B", "# Title", "== Title ==", "**bold** x", "an *old* one", "[a](b)", "![p](f.jpg)",
+          "[[page|x]]", "use `code`", "- one\n- two", "1. a\n2. b", "> said", "| a | b |", "{{cite|A}}", "''x''", "\\emph{x}", "$K_d = 8$"]
+PROSE = ["x > 3 but y < 2", "p < 0.05", "cost $12 and $15", "About ~5 mM", "R&D batch #7 had <5% water", "run_04_b gave 1.2 x 10^3 nM",
+         "[3, 4]", "α-treated (Fig. 2b)", "", None]
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session(2, 2, "1g")
+
+
+def test_markup_is_told_from_prose(spark):
+    rows = spark.createDataFrame([(t, t in MARKUP) for t in MARKUP + PROSE], "t string, is_markup boolean")
+    assert rows.where(marked(F.col("t")) != F.col("is_markup")).collect() == []
+
+
+def test_registered():
+    assert "p2_found" in queries.queries()

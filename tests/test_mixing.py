@@ -1,0 +1,33 @@
+import pytest
+
+from folioscale.llm.mixing import count_tokens, mix, shares, water_fill
+from folioscale.session import local_session
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session(2, 2, "1g")
+
+
+def test_water_fill_gives_what_a_full_source_cannot_take_to_the_others():
+    assert water_fill([0.5, 0.3, 0.2], [10, 1000, 1000], 110) == pytest.approx([10, 60, 40])
+    assert water_fill([0.5, 0.5], [10, 20], 100) == pytest.approx([10, 20])
+    assert water_fill([0.5, 0.3, 0.2], [0, 30, 100]) == pytest.approx([0, 30, 20])
+
+
+def test_shares_are_reached_within_a_record(spark):
+    text = "binding of the labelled protein was measured twice"
+    docs = [(i, text, s) for s, a, b in (("a", 0, 400), ("b", 400, 500), ("none", 500, 600)) for i in range(a, b)] + [(600, text, None)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 3), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
+    chosen = mix(docs, targets)
+    rows = chosen.collect()
+    one = count_tokens([text])[0]
+    tokens = {s: sum(r.tokens * r.uses for r in rows if r.source == s) for s in ("a", "b")}
+    assert {r.source for r in rows} == {"a", "b"}
+    assert max(r.uses for r in rows if r.source == "a") == 1 and max(r.uses for r in rows if r.source == "b") <= 3
+    # b is full at three uses of 100 records, and a keeps 5 to 4 of it: 375 records
+    assert tokens == {"a": 375 * one, "b": 300 * one}
+    assert len(rows) == len({r.doc_id for r in rows})
+    found = {r.source: r.share for r in shares(chosen, targets).collect()}
+    assert found["gone"] == 0 and found["a"] == pytest.approx(5 / 9, abs=0.01)
