@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscale.operators import lexical
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"op1_lexical_search": lexical.evaluation_search}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -16,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/documents.parquet")
+    return lexical.evaluation_search(spark, root)
