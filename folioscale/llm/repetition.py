@@ -4,7 +4,7 @@ Cheap statistics of repeated word runs are computed for every document in whole
 them says which documents are worth an exact look: it is learned by sequential covering from a bounded sample whose
 labels are the exact measure; each rule is a conjunction of thresholds, grown by information gain on two thirds of
 the sample and pruned on the rest. The list is emitted as an ordered Spark ``CASE``. The exact measure, which follows
-copies over changed words, decides on the documents that the list lets through.
+copies over changed words, gives the share of every document.
 """
 
 from __future__ import annotations
@@ -229,10 +229,10 @@ def measure_repetition(
 ) -> DataFrame:
     """doc_id, rule (of the list, 0 if none), repeated (share of words in later copies) of each document.
 
-    Documents that no rule lets through have their share of repeated runs of eight words as it was counted; the others
-    are measured exactly. found_only: only documents with at least ``share``. Case, punctuation and numbers never
-    count. Null, empty and very short texts have 0. ``sample`` bounds the labelled rows. Columns other than ``key``
-    and ``text`` are ignored; repeated rows are measured each.
+    Every document's share is exact_share, whatever its rule. found_only: only documents that a rule lets through and
+    that have at least ``share``. Case, punctuation and numbers never count. Null, empty and very short texts have 0.
+    ``sample`` bounds the labelled rows. Columns other than ``key`` and ``text`` are ignored; repeated rows are measured
+    each.
     """
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rules = fit(documents, key, text, share, sample)
@@ -253,10 +253,10 @@ def measure_repetition(
         return pd.Series([exact_share(w.of(i).tolist()) for i in range(len(w))], dtype="float64")
 
     judged = measured.withColumn("rule", as_column(rules))
-    close = judged.where("rule > 0").select("doc_id", "rule", exactly("text").alias("repeated"))
     if found_only:
-        return close.where(F.col("repeated") >= share)
-    return close.unionByName(judged.where("rule = 0").select("doc_id", "rule", F.col("share_8").alias("repeated")))
+        judged = judged.where("rule > 0")
+    shares = judged.select("doc_id", "rule", exactly("text").alias("repeated"))
+    return shares.where(F.col("repeated") >= share) if found_only else shares
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

@@ -1,0 +1,27 @@
+import pytest
+
+from folioscale.llm.repetition import measure_repetition
+from folioscale.session import local_session
+
+COPIES = (
+    "For Trogruexin D, an IC50 of 56.1 nM and a yield of 93% were obtained. For Stoleiexin α, an IC50 of 1.70 µM and a yield of 31% were "
+    "obtained.\n\nFor Mokoustatin α, an IC50 of 2.05 µg/mL and a yield of 88% were obtained."
+)
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session(2, 2, "1g")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    plain = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))) for i in range(60)]
+    whole = [(100 + i, " ".join([t] * 3)) for i, t in plain[:30]]
+    return spark.createDataFrame([*plain, *whole, (999, COPIES), (1000, None)], "doc_id bigint, text string")
+
+
+def test_every_share_is_the_exact_one(documents):
+    rows = {r.doc_id: r for r in measure_repetition(documents, sample=40).collect()}
+    assert len(rows) == 92 and rows[1000].repeated == 0
+    assert rows[999].repeated == pytest.approx(22 / 45)
