@@ -1,10 +1,10 @@
 """Problem 9: the share of a document that is repeated content, and the documents dominated by it.
 
-Cheap statistics of repeated word runs are computed for every document in whole Arrow batches. A decision list over
-them says which documents are worth an exact look: it is learned by sequential covering from a bounded sample whose
+The exact measure, which follows copies over changed words, gives the share of every document and names the dominated
+ones; nothing else can drop a document. A decision list over cheap statistics of repeated word runs says, as an extra
+column, by which rule a document looks repetitive: it is learned by sequential covering from a bounded sample whose
 labels are the exact measure; each rule is a conjunction of thresholds, grown by information gain on two thirds of
-the sample and pruned on the rest. The list is emitted as an ordered Spark ``CASE``. The exact measure, which follows
-copies over changed words, gives the share of every document.
+the sample and pruned on the rest. The list is emitted as an ordered Spark ``CASE``.
 """
 
 from __future__ import annotations
@@ -210,7 +210,7 @@ def as_column(rules: list[Rule]) -> Column:
         for c in rule:
             holds = holds & c.column()
         out = F.when(holds, k) if out is None else out.when(holds, k)
-    return out.otherwise(0)
+    return F.lit(0) if out is None else out.otherwise(0)
 
 
 def fit(documents: DataFrame, key: str, text: str, share: float, sample: int) -> list[Rule]:
@@ -229,16 +229,24 @@ def measure_repetition(
 ) -> DataFrame:
     """doc_id, rule (of the list, 0 if none), repeated (share of words in later copies) of each document.
 
-    Every document's share is exact_share, whatever its rule. found_only: only documents that a rule lets through and
-    that have at least ``share``. Case, punctuation and numbers never count. Null, empty and very short texts have 0.
+    Every document's share is exact_share, whatever its rule. found_only: only documents that have at least ``share``,
+    without the rule; no list is learned for them. Case, punctuation and numbers never count. Null, empty and very short texts have 0.
     ``sample`` bounds the labelled rows. Columns other than ``key`` and ``text`` are ignored; repeated rows are measured
     each.
     """
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rules = fit(documents, key, text, share, sample)
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "text", *FEATURES]
 
+    @F.pandas_udf("double")
+    def exactly(texts: pd.Series) -> pd.Series:
+        w = Words(pa.array(texts, pa.string()), numberless)
+        return pd.Series([exact_share(w.of(i).tolist()) for i in range(len(w))], dtype="float64")
+
+    if found_only:
+        return rows.select("doc_id", exactly("text").alias("repeated")).where(F.col("repeated") >= share)
+    rules = fit(documents, key, text, share, sample)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -246,17 +254,7 @@ def measure_repetition(
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[f]) for f in FEATURES)], names=names)
 
     measured = rows.mapInArrow(run, f"doc_id {kind}, text string, " + ", ".join(f"{f} double" for f in FEATURES))
-
-    @F.pandas_udf("double")
-    def exactly(texts: pd.Series) -> pd.Series:
-        w = Words(pa.array(texts, pa.string()), numberless)
-        return pd.Series([exact_share(w.of(i).tolist()) for i in range(len(w))], dtype="float64")
-
-    judged = measured.withColumn("rule", as_column(rules))
-    if found_only:
-        judged = judged.where("rule > 0")
-    shares = judged.select("doc_id", "rule", exactly("text").alias("repeated"))
-    return shares.where(F.col("repeated") >= share) if found_only else shares
+    return measured.select("doc_id", as_column(rules).alias("rule"), exactly("text").alias("repeated"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

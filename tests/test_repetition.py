@@ -1,6 +1,7 @@
 import pytest
 
-from folioscale.llm.repetition import measure_repetition
+from folioscale.llm import repetition
+from folioscale.llm.repetition import Condition, measure_repetition
 from folioscale.session import local_session
 
 COPIES = (
@@ -25,3 +26,11 @@ def test_every_share_is_the_exact_one(documents):
     rows = {r.doc_id: r for r in measure_repetition(documents, sample=40).collect()}
     assert len(rows) == 92 and rows[1000].repeated == 0
     assert rows[999].repeated == pytest.approx(22 / 45)
+
+
+@pytest.mark.parametrize("rules", [[], [(Condition("share_8", True, 0.5),)]])
+def test_no_rule_can_drop_a_document(documents, monkeypatch, rules):
+    monkeypatch.setattr(repetition, "fit", lambda *a: rules)
+    found = {r.doc_id for r in measure_repetition(documents, found_only=True).collect()}
+    assert found == {999, *range(100, 130)}
+    assert measure_repetition(documents).count() == 92
