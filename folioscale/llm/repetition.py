@@ -100,24 +100,23 @@ def exact_share(words: list[int], seed: int = 5, least: int = 8, changed: int =
     """Share of words in second or later copies of a run of at least ``least`` words.
 
     A copy is followed from its source word by word; stretches that agree in ``seed`` words on one distance and are
-    at most ``changed`` words apart are one copy. Sources are the first and the nearest earlier occurrence.
+    at most ``changed`` words apart are one copy. Sources are all earlier occurrences: the first and the nearest, and
+    the others of each run that these two leave uncovered.
     """
     n = len(words)
     if n < least:
         return 0.0
-    first: dict[tuple, int] = {}
-    last: dict[tuple, int] = {}
+    places: dict[tuple, list[int]] = {}
     at: dict[int, list[int]] = {}
     for i in range(n - seed + 1):
-        run = tuple(words[i : i + seed])
-        if run in first:
-            for d in {i - first[run], i - last[run]}:
+        seen = places.setdefault(tuple(words[i : i + seed]), [])
+        if seen:
+            for d in {i - seen[0], i - seen[-1]}:
                 at.setdefault(d, []).append(i)
-        else:
-            first[run] = i
-        last[run] = i
+        seen.append(i)
     covered = np.zeros(n, dtype=bool)
-    for starts in at.values():
+
+    def cover(starts: list[int]) -> None:
         begin = end = None
         for i in [*starts, n + seed + changed + 1]:
             if begin is not None and i <= end + changed:
@@ -126,6 +125,19 @@ def exact_share(words: list[int], seed: int = 5, least: int = 8, changed: int =
             if begin is not None and end - begin >= least:
                 covered[begin:end] = True
             begin, end = i, i + seed
+
+    for starts in at.values():
+        cover(starts)
+    others = set()
+    for seen in places.values():
+        for k in range(2, len(seen)):
+            if not covered[seen[k] : seen[k] + seed].all():
+                others.update(seen[k] - i for i in seen[1 : k - 1])
+    if others:
+        ids = np.asarray(words)
+        for d in others:
+            same = np.concatenate(([0], np.cumsum(ids[d:] == ids[: n - d])))
+            cover((np.flatnonzero(same[seed:] - same[:-seed] == seed) + d).tolist())
     return float(covered.mean())
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from folioscale.llm import repetition
-from folioscale.llm.repetition import Condition, measure_repetition
+from folioscale.llm.repetition import Condition, exact_share, measure_repetition
 from folioscale.session import local_session
 
 COPIES = (
@@ -34,3 +34,9 @@ def test_no_rule_can_drop_a_document(documents, monkeypatch, rules):
     found = {r.doc_id for r in measure_repetition(documents, found_only=True).collect()}
     assert found == {999, *range(100, 130)}
     assert measure_repetition(documents).count() == 92
+
+
+def test_a_copy_of_neither_the_first_nor_the_nearest_occurrence():
+    phrase = [1, 2, 3, 4, 5]
+    words = [*phrase, 11, 12, 13, 90, *phrase, 21, 22, 23, 91, *phrase, 31, 32, 33, 92, *phrase, 21, 22, 23]
+    assert exact_share(words) == 8 / 35
