@@ -48,6 +48,27 @@ def single_forms() -> dict[str, str]:
     return {a: b for a, b in found.items() if a != b and not b.isspace()}
 
 
+@cache
+def accented_forms() -> dict[str, str]:
+    """Composed letters whose base is a look-alike, and the Latin letter with the same accents that each looks like."""
+    found = {}
+    for n in range(0xA0, 0x1FFFF + 1):
+        base, *accents = unicodedata.normalize("NFD", chr(n))
+        if accents and base in ALIKE and chr(n) not in ALIKE:
+            found[chr(n)] = unicodedata.normalize("NFC", ALIKE[base] + "".join(accents))
+    return found
+
+
+def latin_accents_sql(text: str) -> str:
+    """The DuckDB expression of ``text``, composed, with accented look-alike letters as Latin ones."""
+    sql = f"nfc_normalize({text})"
+    one = {a: b for a, b in accented_forms().items() if len(b) == 1}
+    for a, b in accented_forms().items():
+        if a not in one:
+            sql = f"replace({sql}, '{a}', '{b}')"
+    return f"translate({sql}, '{''.join(one)}', '{''.join(one.values())}')"
+
+
 def form_sql(text: str) -> str:
     """The DuckDB expression that gives the one form of the SQL expression ``text``."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
@@ -65,7 +86,7 @@ def one_form(rows: DataFrame, key: str, text: str) -> DataFrame:
     Only the two named columns are read, so other columns may have any names. Rows are neither dropped nor merged.
     """
     source = rows.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
-    query = f"SELECT key, text, {form_sql('text')} AS form FROM batch"
+    query = f"SELECT key, text, {form_sql(latin_accents_sql('text'))} AS form FROM batch"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb

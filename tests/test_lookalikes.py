@@ -1,0 +1,14 @@
+import unicodedata
+
+import pytest
+
+from folioscale.llm.lookalikes import one_form
+from folioscale.session import local_session
+
+
+@pytest.mark.parametrize("latin, other", [("ö", "ӧ"), ("ä", "ӓ"), ("è", "ѐ"), ("ó", "ό"), ("v́", "ν́")])
+def test_an_accented_look_alike_meets_its_latin_twin(latin, other):
+    spark = local_session(2, 2, "1g")
+    names = [latin, other, unicodedata.normalize("NFC", other)]
+    rows = spark.createDataFrame([(str(i), f"x{n}y.pdf") for i, n in enumerate(names)], "key string, text string")
+    assert {r.form for r in one_form(rows, "key", "text").collect()} == {unicodedata.normalize("NFC", f"x{latin}y.pdf")}
