@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import conversations, leaks, lookalikes, markup, mixing, repetition, splitting
+from folioscale.llm import conversations, leaks, lookalikes, markup, mixing, repetition, scans, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lookalikes.p3_found,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
+        "p6_found": scans.p6_found,
+        "p6_texts": scans.p6_texts,
         "p7_found": leaks.p7_found,
         "p7_leaks": leaks.p7_leaks,
         "p8_mix": mixing.p8_mix,
