@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import conversations, leaks, lookalikes, markup, mixing, repetition, scans, splitting
+from folioscale.llm import conversations, leaks, lookalikes, markup, mixing, names, repetition, scans, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": conversations.p1_found,
         "p2_found": markup.p2_found,
         "p3_found": lookalikes.p3_found,
+        "p4_found": names.p4_found,
+        "p4_members": names.p4_members,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
         "p6_found": scans.p6_found,
