@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,41 +137,65 @@ def unwrapped(text: str) -> str:
     return "\n\n".join(out)
 
 
-def _bodies(records: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, body (unpaged, unwrapped), edge_lines, wrapped."""
-    source = records.select(*(F.col(k).cast("string") for k in keys), F.col(text).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{k}` string" for k in keys), "body string", "edge_lines bigint"])
+def body_of(text: str | None) -> tuple[str | None, int]:
+    """The text without edge lines and line wraps, cut words marked, and the number of edge lines."""
+    if text is None:
+        return None, 0
+    gone = 0
+    if HARD in text or SOFT in text:
+        text = text.replace(HARD, " ").replace(SOFT, " ")
+    if "\n" in text:
+        text, gone = unpaged(text.replace("\r\n", "\n"))
+        text = unwrapped(text)
+    return text, gone
+
+
+_PART, _HYPHENED = re.compile(r"[^\W_]{4,}"), re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+_CUT = re.compile(rf"[^\W\d_]+[{HARD}{SOFT}][^\W\d_]+")
+
+
+@lru_cache(maxsize=1 << 17)
+def keys_of(raw: str) -> tuple[str, ...]:
+    """Keys of one string between blanks: plain words, words with inner hyphens, and words cut at a line end; lower case."""
+    low = raw.lower()
+    cut: list[str] = []
+    if HARD in low or SOFT in low:
+        cut = _CUT.findall(low)
+        low = low.replace(HARD, "").replace(SOFT, "")
+    return tuple({*_PART.findall(low), *(_HYPHENED.findall(low) if "-" in low else ()), *cut})
+
+
+def _keyed(bodies: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Distinct (text number, key number) of the keys of all texts, and the keys."""
+    split = pc.utf8_split_whitespace(pa.array([b or "" for b in bodies], pa.string()))
+    coded = split.flatten().dictionary_encode()
+    place: dict[str, int] = {}
+    found = [[place.setdefault(k, len(place)) for k in keys_of(raw)] for raw in coded.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter((k for ks in found for k in ks), np.int64, int(sizes.sum()))
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    raw = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(bodies)), np.diff(split.offsets.to_numpy()))
+    many = sizes[raw] if len(raw) else np.zeros(0, np.int64)
+    total = int(many.sum())
+    inside = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
+    keys = flat[np.repeat(starts[raw], many) + inside] if total else np.zeros(0, np.int64)
+    pairs = np.unique(np.repeat(doc, many) * max(len(place), 1) + keys)
+    return pairs // max(len(place), 1), pairs % max(len(place), 1), list(place)
+
+
+def count_keys(records: DataFrame, text: str, block: int = 2048) -> DataFrame:
+    """key, df: in how many of the records each key occurs; counted by blocks first, so little is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, edges = [], []
-            for whole in batch.column(len(keys)).to_pylist():
-                gone = 0
-                if whole is not None:
-                    whole = whole.replace(HARD, " ").replace(SOFT, " ")
-                    if "\n" in whole:
-                        whole, gone = unpaged(whole.replace("\r\n", "\n"))
-                        whole = unwrapped(whole)
-                bodies.append(whole)
-                edges.append(gone)
-            columns = [*batch.columns[: len(keys)], pa.array(bodies, pa.string()), pa.array(edges, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "body", "edge_lines"])
-
-    return source.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, block):
+                _, keys, names = _keyed([body_of(t)[0] for t in batch.column(0).slice(at, block).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.array(np.bincount(keys, minlength=len(names)), pa.int64())], names=["key", "df"]
+                )
 
-
-def _words(body):
-    """Keys to look up in one text: plain words, words with inner hyphens, and words cut at a line end; lower case."""
-    low = F.lower(body)
-    whole = F.translate(low, HARD + SOFT, "")
-    cut = F.when(low.rlike(f"[{HARD}{SOFT}]"), F.regexp_extract_all(low, F.lit(rf"\p{{L}}+[{HARD}{SOFT}]\p{{L}}+"), F.lit(0)))
-    return F.array_distinct(
-        F.concat(
-            F.regexp_extract_all(whole, F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0)),
-            F.regexp_extract_all(whole, F.lit(r"\p{L}+(?:-\p{L}+)+"), F.lit(0)),
-            F.coalesce(cut, F.array().cast("array<string>")),
-        )
-    )
+    return records.select(F.col(text).cast("string")).mapInArrow(run, "key string, df bigint").groupBy("key").agg(F.sum("df").alias("df"))
 
 
 def _value(text: str) -> int:
@@ -228,44 +255,60 @@ def corrections(vocabulary: DataFrame, frequent: int = 8, ratio: int = 8) -> Dat
 
 
 def repair_scans(records: DataFrame, keys: list[str], text: str, frequent: int = 8, ratio: int = 8) -> DataFrame:
-    """keys, edge_lines, cut_words, misread (words corrected), repaired (the text) of each record, all as found.
+    """keys, edge_lines, cut_words, misread (distinct words corrected), repaired (the text) of each record.
 
-    Null texts stay null, empty ones empty, both without repairs. Rows with equal keys are taken as copies of one record:
-    each keeps its row, and their repairs are those of all of them. Columns other than ``keys`` and ``text`` are ignored.
-    An empty table gives no rows. Keys come back as strings. A cut word counts if it is joined without its hyphen.
+    Null texts stay null, empty ones empty, both without repairs. Repeated rows are repaired each. Columns other than
+    ``keys`` and ``text`` are ignored. An empty table gives no rows. Keys come back as strings. A cut word counts if it
+    is joined without its hyphen.
     """
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
-    bodies = _bodies(records, keys, text)
-    words = bodies.select(*keys, F.explode(_words(F.col("body"))).alias("key"))
-    vocabulary = words.groupBy("key").agg(F.count("*").alias("df")).checkpoint()
-    found = corrections(vocabulary, frequent, ratio).checkpoint()
-    few = found.count() <= MAX_BROADCAST
-    hits = (
-        words.join(F.broadcast(found) if few else found, "key")
-        .groupBy(*keys)
-        .agg(F.collect_set(F.struct("key", "right")).alias("hits"))
-    )
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = bodies.alias("b").join(hits.alias("h"), on, "left").select(*(F.col(f"b.{k}").alias(k) for k in keys), "body", "edge_lines", "hits")
-    is_cut = lambda h: h["key"].rlike(f"[{HARD}{SOFT}]")
-    none = F.coalesce("hits", F.array().cast("array<struct<key:string,right:string>>"))
-
-    @F.pandas_udf("string")
-    def mended(body, hits):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([mend(b, {h["key"]: h["right"] for h in hs} if hs is not None else {}) for b, hs in zip(body, hits)])
-
-    return joined.select(
-        *keys, "edge_lines",
-        F.size(F.filter(none, lambda h: is_cut(h) & ~F.contains(h["right"], F.lit("-")))).cast("bigint").alias("cut_words"),
-        F.size(F.filter(none, lambda h: ~is_cut(h))).cast("bigint").alias("misread"),
-        mended("body", "hits").alias("repaired"),
+    vocabulary = count_keys(records, text).checkpoint()
+    right = corrections(vocabulary, frequent, ratio).checkpoint()
+    source = records.select(*(F.col(k).cast("string") for k in keys), F.col(text).cast("string").alias("__text"))
+    if right.count() <= MAX_BROADCAST:
+        known = dict(right.select("key", "right").collect())
+        return _repaired(source, keys, spark.sparkContext.broadcast(known))
+    # too many corrections for one task: each record meets its own by a join on the keys
+    numbered = source.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, found, names = _keyed([body_of(t)[0] for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array(names, pa.string()).take(pa.array(found))], names=["__row", "key"])
+
+    own = (
+        numbered.select("__row", "__text").mapInArrow(run, "__row bigint, key string").join(right, "key")
+        .groupBy("__row").agg(F.map_from_entries(F.collect_set(F.struct("key", "right"))).alias("__right"))
     )
+    return _repaired(numbered.join(own, "__row", "left").select(*keys, "__text", "__right"), keys, None)
+
+
+def _repaired(source: DataFrame, keys: list[str], shared, block: int = 2048) -> DataFrame:  # noqa: ANN001
+    """The records mended with the shared corrections, or each with its own in the column after its text."""
+    n = len(keys)
+    schema = ", ".join([*(f"`{k}` string" for k in keys), "edge_lines bigint, cut_words bigint, misread bigint, repaired string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                batch = whole.slice(at, block)
+                bodies, edges = map(list, zip(*(body_of(t) for t in batch.column(n).to_pylist())))
+                own: list[dict[str, str]] = [{} for _ in bodies]
+                if shared is None:
+                    own = [dict(m) if m else {} for m in batch.column(n + 1).to_pylist()]
+                else:
+                    docs, found, names = _keyed(bodies)
+                    hit = np.array([k in shared.value for k in names], dtype=bool)
+                    for d, k in zip(*(x[hit[found]].tolist() for x in (docs, found))) if len(found) else ():
+                        own[d][names[k]] = shared.value[names[k]]
+                cut = [sum((HARD in k or SOFT in k) and "-" not in r for k, r in o.items()) for o in own]
+                misread = [sum(HARD not in k and SOFT not in k for k in o) for o in own]
+                columns = [pa.array(edges, pa.int64()), pa.array(cut, pa.int64()), pa.array(misread, pa.int64())]
+                mended = pa.array([mend(b, o) for b, o in zip(bodies, own)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns, mended], names=[*keys, "edge_lines", "cut_words", "misread", "repaired"])
+
+    return source.mapInArrow(run, schema)
 
 
 _TOKEN = re.compile(rf"[^\W\d_]+[{HARD}{SOFT}][^\W\d_]+|[^\W_]{{4,}}")
@@ -285,12 +328,11 @@ def mend(body: str | None, right: dict[str, str]) -> str | None:
             return re.sub(f"[{HARD}{SOFT}]", "-" if "-" in to else "", word)
         return to.upper() if word.isupper() and len(word) > 1 else to.capitalize() if word[:1].isupper() else to
 
-    body = _TOKEN.sub(one, body)
-    if right:
-        body = _STRAY.sub("", body)
-    body = re.sub(f"[{HARD}{SOFT}]", "", body)
+    if not right:
+        return body
+    body = re.sub(f"[{HARD}{SOFT}]", "", _STRAY.sub("", _TOKEN.sub(one, body)))
     # a correction may have stood across a cut
-    return _TOKEN.sub(one, body) if right else body
+    return _TOKEN.sub(one, body)
 
 
 def p6_records(spark: SparkSession, root: str) -> DataFrame:
