@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": conversations.p1_found,
         "p2_found": markup.p2_found,
+        "p2_texts": markup.p2_texts,
         "p3_found": lookalikes.p3_found,
         "p4_found": names.p4_found,
         "p4_members": names.p4_members,
