@@ -1,10 +1,12 @@
 """Problem 9: the share of a document that is repeated content, and the documents dominated by it.
 
-The exact measure, which follows copies over changed words, gives the share of every document and names the dominated
-ones; nothing else can drop a document. A decision list over cheap statistics of repeated word runs says, as an extra
-column, by which rule a document looks repetitive: it is learned by sequential covering from a bounded sample whose
-labels are the exact measure; each rule is a conjunction of thresholds, grown by information gain on two thirds of
-the sample and pruned on the rest. The list is emitted as an ordered Spark ``CASE``.
+A decision list over cheap statistics of a document's words names the documents that look dominated: it is learned by
+sequential covering from a bounded sample whose labels are the exact measure; each rule is a conjunction of thresholds,
+grown by information gain on two thirds of the sample and pruned on the rest. The list is emitted as an ordered Spark
+``CASE``. An exact check follows, which follows copies over changed words. A document that no rule covers is checked as
+well unless its statistics rule it out: a copy is made of runs of five words at most two words apart, so at least
+five sevenths of it lie in such runs, and a document whose share of these runs is under five sevenths of the limit
+cannot reach it. So no document depends on the sample.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from folioscale.llm.words import Words, plain
 from folioscale.session import table
 
-FEATURES = ("share_8", "share_5", "most", "longest", "words")
+FEATURES = ("share_8", "share_5", "most", "longest", "distinct", "words")
+SEED, LEAST, CHANGED = 5, 8, 2
 _DIGITS = re.compile(r"\d+")
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -64,18 +66,22 @@ def statistics(texts: pa.Array, block: int = 1024) -> dict[str, np.ndarray]:
     """FEATURES of each text; all 0 for texts without words.
 
     share_5, share_8: share of words in later copies of five words, and in stretches of eight or more such words;
-    most: copies of the most frequent run; longest: length of the longest stretch over the number of words.
+    most: copies of the most frequent run; longest: length of the longest stretch over the number of words; distinct:
+    distinct words over all.
     """
-    parts = [_statistics(texts.slice(i, block)) for i in range(0, len(texts), block)]
+    return _joined([_statistics(Words(texts.slice(i, block), numberless)) for i in range(0, len(texts), block)])
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return {f: np.concatenate([p[f] for p in parts]) if parts else np.zeros(0) for f in FEATURES}
 
 
-def _statistics(texts: pa.Array) -> dict[str, np.ndarray]:
-    w = Words(texts, numberless)
+def _statistics(w: Words) -> dict[str, np.ndarray]:
     n, ids = len(w), w.ids
     sizes = np.diff(w.starts)
     doc = np.repeat(np.arange(n), sizes)
     many = np.maximum(sizes, 1)
+    kinds = np.bincount(np.unique(doc * (len(w.forms) + 1) + ids) // (len(w.forms) + 1), minlength=n)
     number = _later_copies(ids, doc, 5)
     later = np.flatnonzero(number)
     # three more runs of five in a row make eight words
@@ -92,11 +98,11 @@ def _statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         longest[full] = np.maximum.reduceat(np.where(covered_8, place - fresh, 0), w.starts[:-1][full])
     return {
         "share_8": np.bincount(doc, covered_8, n) / many, "share_5": np.bincount(doc, covered_5, n) / many,
-        "most": most, "longest": longest / many, "words": sizes.astype(float),
+        "most": most, "longest": longest / many, "distinct": kinds / many, "words": sizes.astype(float),
     }
 
 
-def exact_share(words: list[int], seed: int = 5, least: int = 8, changed: int = 2) -> float:
+def exact_share(words: list[int], seed: int = SEED, least: int = LEAST, changed: int = CHANGED) -> float:
     """Share of words in second or later copies of a run of at least ``least`` words.
 
     A copy is followed from its source word by word; stretches that agree in ``seed`` words on one distance and are
@@ -225,15 +231,24 @@ def as_column(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def fit(documents: DataFrame, key: str, text: str, share: float, sample: int) -> list[Rule]:
-    """A list that finds documents of at least half of ``share``, learned from ``sample`` rows in hash order of the key."""
-    rows = documents.select(text).orderBy(F.xxhash64(key), F.col(key)).limit(sample).toArrow()
-    texts = rows.column(0).combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks)
+def labelled(documents: DataFrame, key: str, text: str, sample: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Statistics and exact shares of at most ``sample`` rows, those of the least hashes of the key.
+
+    A bound on the hash that about twice the sample passes comes first, so few texts meet in one task.
+    """
+    total = documents.count()
+    bound = 2**63 - 1 if total <= 2 * sample else int(2 * sample / total * 2**64) - 2**63
+    rows = documents.select(F.col(text).cast("string").alias("text"), F.xxhash64(key).alias("h"), F.col(key).alias("k"))
+    rows = rows.where(F.col("h") <= bound).orderBy("h", "k").limit(sample).select("text").toArrow()
+    texts = pa.concat_arrays(rows.column(0).chunks) if rows.num_rows else pa.array([], pa.string())
     w = Words(texts, numberless)
-    y = np.array([exact_share(w.of(i).tolist()) >= share / 2 for i in range(len(w))], dtype=bool)
-    return learn_list(statistics(texts), y)
+    return statistics(texts), np.array([exact_share(w.of(i).tolist()) for i in range(len(w))])
+
+
+def fit(documents: DataFrame, key: str, text: str, share: float, sample: int) -> list[Rule]:
+    """A list that names documents of at least ``share``, learned from at most ``sample`` rows."""
+    x, exact = labelled(documents, key, text, sample)
+    return learn_list(x, exact >= share)
 
 
 def measure_repetition(
@@ -241,32 +256,33 @@ def measure_repetition(
 ) -> DataFrame:
     """doc_id, rule (of the list, 0 if none), repeated (share of words in later copies) of each document.
 
-    Every document's share is exact_share, whatever its rule. found_only: only documents that have at least ``share``,
-    without the rule; no list is learned for them. Case, punctuation and numbers never count. Null, empty and very short texts have 0.
-    ``sample`` bounds the labelled rows. Columns other than ``key`` and ``text`` are ignored; repeated rows are measured
-    each.
+    Every share given is exact_share, whatever the rule. found_only: only documents of at least ``share``; the exact
+    measure is then taken where a rule or the statistics ask for it. Case, punctuation and numbers never count. Null,
+    empty and very short texts have 0. ``sample`` bounds the labelled rows. Columns other than ``key`` and ``text`` are
+    ignored; repeated rows are measured each; an empty table gives no rows.
     """
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text", *FEATURES]
-
-    @F.pandas_udf("double")
-    def exactly(texts: pd.Series) -> pd.Series:
-        w = Words(pa.array(texts, pa.string()), numberless)
-        return pd.Series([exact_share(w.of(i).tolist()) for i in range(len(w))], dtype="float64")
-
-    if found_only:
-        return rows.select("doc_id", exactly("text").alias("repeated")).where(F.col("repeated") >= share)
     rules = fit(documents, key, text, share, sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = statistics(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[f]) for f in FEATURES)], names=names)
-
-    measured = rows.mapInArrow(run, f"doc_id {kind}, text string, " + ", ".join(f"{f} double" for f in FEATURES))
-    return measured.select("doc_id", as_column(rules).alias("rule"), exactly("text").alias("repeated"))
+    floor = share * SEED / (SEED + CHANGED) - 1e-9
+    names = ["doc_id", *FEATURES, "repeated"]
+
+    def run(batches: Iterator[pa.RecordBatch], block: int = 1024) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                batch = whole.slice(at, block)
+                w = Words(batch.column(1), numberless)
+                found = _statistics(w)
+                asked = found["share_5"] >= floor if found_only else np.ones(len(w), dtype=bool)
+                exact = [exact_share(w.of(i).tolist()) if asked[i] else None for i in range(len(w))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[f]) for f in FEATURES), pa.array(exact, pa.float64())], names=names)
+
+    measured = rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES) + ", repeated double")
+    measured = measured.withColumn("rule", as_column(rules))
+    if found_only:
+        # what a rule names and what none covers but the statistics cannot rule out; then the exact check
+        measured = measured.where(((F.col("rule") > 0) | (F.col("share_5") >= floor)) & (F.col("repeated") >= share))
+    return measured.select("doc_id", "rule", "repeated")
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
