@@ -12,6 +12,7 @@ from folioscale.llm import conversations, leaks, lookalikes, markup, mixing, nam
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": conversations.p1_found,
+        "p1_turns": conversations.p1_turns,
         "p2_found": markup.p2_found,
         "p2_texts": markup.p2_texts,
         "p3_found": lookalikes.p3_found,

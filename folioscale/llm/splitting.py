@@ -3,13 +3,15 @@
 Every position of a text has a boundary strength: 5 after a blank line, 4 after a line end, 3 after a sentence, 2 after
 a clause, 1 after a word, 0 elsewhere, -1 inside a combined character. A sparse table of range maxima over (strength,
 position) gives, for each window of permissible lengths, the strongest cut, ties broken rightward; the next piece
-starts at the strongest boundary at most ``overlap`` characters back. Tables are built block by block, so memory does
-not grow with the text.
+starts at the strongest boundary at most ``overlap`` characters back. Strengths are one byte a character; the sparse
+tables are built block by block, so they do not grow with the text.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,13 @@ BLOCK = 1 << 16
 _PLACE = np.int64(1) << 40
 
 
+@cache
+def combining() -> np.ndarray:
+    """Code points that belong to the character before them: marks, joiners, variation selectors and skin tones."""
+    found = [n for n in range(0x300, 0x20000) if unicodedata.category(chr(n)) in ("Mn", "Mc", "Me")]
+    return np.array([*found, 0x200D, *range(0x1F3FB, 0x1F400), *range(0xE0020, 0xE0080), *range(0xE0100, 0xE01F0)], dtype=np.uint32)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -57,8 +66,13 @@ def boundary_strengths(codes: np.ndarray) -> np.ndarray:
     blank[0] = False
     blank[1:] &= newline[:-1]
     cut[blank[:-1]] = 5
-    joined = ((codes >= 0x300) & (codes < 0x370)) | ((codes >= 0xFE00) & (codes < 0xFE10)) | (codes == 0x200D)
+    joined = np.isin(codes, combining())
     joined[1:] |= codes[:-1] == 0x200D
+    flags = (codes >= 0x1F1E6) & (codes <= 0x1F1FF)
+    if flags.any():  # regional letters go in pairs, counted from the start of each run
+        place = np.arange(n)
+        start = np.maximum.accumulate(np.where(flags, 0, place + 1))
+        joined |= flags & ((place - start) % 2 == 1)
     cut[joined[1:]] = -1
     return out
 

@@ -40,3 +40,36 @@ def test_a_copy_of_neither_the_first_nor_the_nearest_occurrence():
     phrase = [1, 2, 3, 4, 5]
     words = [*phrase, 11, 12, 13, 90, *phrase, 21, 22, 23, 91, *phrase, 31, 32, 33, 92, *phrase, 21, 22, 23]
     assert exact_share(words) == 8 / 35
+
+
+def test_the_list_on_held_out_documents():
+    import random
+
+    from folioscale.llm.repetition import _holds, learn_list, statistics
+    import numpy as np
+    import pyarrow as pa
+    from folioscale.llm.words import Words
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(600):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 120))]
+        more = [w if rng.random() > 0.05 else rng.choice(words) for w in base[: rng.randint(10, len(base)) if len(base) > 10 else 0]]
+        texts.append(" ".join(base + more * rng.choice((0, 0, 0, 1, 2))))
+    x = statistics(pa.array(texts))
+    w = Words(pa.array(texts), repetition.numberless)
+    y = np.array([exact_share(w.of(i).tolist()) >= 0.3 for i in range(600)])
+    rules = learn_list({f: v[:300] for f, v in x.items()}, y[:300])
+    named = np.zeros(300, dtype=bool)
+    for rule in rules:
+        named |= _holds(rule, {f: v[300:] for f, v in x.items()}, 300)
+    recall, precision = (named & y[300:]).sum() / y[300:].sum(), (named & y[300:]).sum() / named.sum()
+    print(f"held out: recall {recall:.3f}, precision {precision:.3f}, {len(rules)} rules")
+    assert recall >= 0.9 and precision >= 0.9
+    # the floor loses none
+    assert (x["share_5"][y] >= 0.3 * 5 / 7 - 1e-9).all()
+
+
+def test_no_documents(documents):
+    assert measure_repetition(documents.limit(0)).count() == 0
