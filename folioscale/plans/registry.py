@@ -1,4 +1,4 @@
-"""The core's registered queries."""
+"""The core's registered queries, gathered from the modules of this package."""
 
 from __future__ import annotations
 
@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscale.operators import lexical
+from folioscale.plans import documents, search
+
+MODULES = (search, documents)
+
+
+def _all() -> dict[str, tuple]:
+    found: dict[str, tuple] = {}
+    for module in MODULES:
+        found |= module.queries()
+    return found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lexical_search": lexical.evaluation_search}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
