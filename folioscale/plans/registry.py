@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscale.operators import lexical
-from folioscale.plans import documents, search
+from folioscale.plans import collections, documents, search
 
-MODULES = (search, documents)
+MODULES = (search, documents, collections)
 
 
 def _all() -> dict[str, tuple]:
