@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscale.operators import lexical
-from folioscale.plans import collections, documents, search
+from folioscale.plans import collections, documents, search, texts
 
-MODULES = (search, documents, collections)
+MODULES = (search, documents, collections, texts)
 
 
 def _all() -> dict[str, tuple]:
