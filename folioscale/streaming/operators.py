@@ -113,7 +113,7 @@ def last_n_means(events: DataFrame, key: str, time: str, event: str, value: str,
     return _stateful(events, key, f"{key} {kinds[key]}, {event} {kinds[event]}, mean double", step, [time, event])
 
 
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+(?=\s|$)")
+_SENTENCE = re.compile(r"(?:[^.!?]|[.!?](?!\s|$))*[.!?]+(?=\s|$)")
 
 
 def complete_sentences(parts: DataFrame, answer: str, order: str, text: str, closing: str) -> DataFrame:
