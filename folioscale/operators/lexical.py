@@ -110,7 +110,7 @@ def search(
 ) -> DataFrame:
     """query_id, rank from 1, doc_id, source, score: the ``top`` documents of each question, ``per_source`` of one source at most.
 
-    documents: ``key`` (bigint), ``source``, ``text``; questions: query_id, text, a batch whose terms the driver holds.
+    documents: ``key`` (a number or a string), ``source``, ``text``; questions: query_id, text, a batch whose terms the driver holds.
     Statistics are those of all documents, empty ones included. Documents that share no term with a question are no
     answer. Documents without a source share one cap; a cap of 0 is none. Equal scores (to six decimals) go by key. Null
     questions and those without terms have no answers; neither have empty tables.
@@ -119,8 +119,8 @@ def search(
     asked = {q: Counter(split_tokens(t)) for q, t in questions.where("query_id is not null").select("query_id", "text").collect()}
     asked = {q: c for q, c in asked.items() if c}
     kind = questions.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, doc_id bigint, source string, score double"
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    schema = f"query_id {kind}, doc_id {documents.schema[key].dataType.simpleString()}, source string, score double"
+    rows = documents.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
 
     vocabulary = sorted({t for c in asked.values() for t in c})
     place = {t: i for i, t in enumerate(vocabulary)}
@@ -170,7 +170,7 @@ def search(
                             f = np.fromiter(tf.values(), np.float64, len(tf))
                             got[i] = (f * (k1 + 1.0) / (f + k1 * (1.0 - b + b * len(ts) / avgdl))) @ w[ids]
                     got = np.round(got, 6)
-                    doc = batch.column(0).to_numpy(zero_copy_only=False)
+                    doc = np.array(batch.column(0).to_pylist())
                     src = batch.column(1).dictionary_encode()
                     code = src.indices.fill_null(-1).to_numpy(zero_copy_only=False)
                     q, d = [], []

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscale.operators import lexical
-from folioscale.plans import collections, documents, extraction, search, streams, texts
+from folioscale.plans import answers, collections, documents, extraction, search, streams, texts
 
-MODULES = (search, documents, collections, texts, extraction, streams)
+MODULES = (search, documents, collections, texts, extraction, streams, answers)
 
 
 def _all() -> dict[str, tuple]:
