@@ -36,7 +36,7 @@ def pack(rows: DataFrame, group: str, order: str, size: str, budget: int, most:
     """group, order, size, bin: rows of each group in order, packed by next fit."""
     lists = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, F.col(size).cast("bigint").alias("n")))).alias("rows"))
     bins = lists.withColumn("bins", fold_bins(F.transform("rows", lambda r: r["n"]), budget, most))
-    out = bins.select(group, F.explode(F.arrays_zip("rows", "bins")).alias("z"))
+    out = bins.select(group, F.explode_outer(F.arrays_zip("rows", "bins")).alias("z"))
     return out.select(group, F.col(f"z.rows.{order}").alias(order), F.col("z.rows.n").alias(size), F.col("z.bins").alias("bin"))
 
 
@@ -71,7 +71,8 @@ def pack_overlapping(rows: DataFrame, group: str, order: str, size: str, budget:
     tail, prior = (F.try_element_at("spans", F.lit(k)) for k in (-1, -2))
     merged = F.array_append(F.slice("spans", 1, F.greatest(F.size("spans") - 2, F.lit(0))), F.struct(prior["first"].alias("first"), F.greatest(prior["last"], tail["last"]).alias("last"), (prior["tokens"] + tail["tokens"]).alias("tokens")))
     out = lists.withColumn("spans", spans).withColumn("spans", F.when((F.size("spans") > 1) & (F.try_element_at("spans", F.lit(-1))["tokens"] < least), merged).otherwise(F.col("spans")))
-    return out.select(group, F.posexplode("spans").alias("span", "s")).select(group, F.col("span").cast("bigint").alias("span"), "s.first", "s.last", "s.tokens")
+    # the outer form: of the plain one Catalyst infers a filter on the size, which would compute the fold many times over
+    return out.select(group, F.posexplode_outer("spans").alias("span", "s")).select(group, F.col("span").cast("bigint").alias("span"), "s.first", "s.last", "s.tokens")
 
 
 def page_label(start: Column, end: Column) -> Column:
