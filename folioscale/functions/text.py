@@ -104,21 +104,24 @@ def expanded(text: Column, acronyms: dict[str, str] = ACRONYMS, most: int = 3) -
 
 def sub_questions(text: Column) -> Column:
     """Questions that a comparison, a cause or a double question is made of; empty for others."""
+    low = F.lower(text)
     both = lambda p: [F.trim(F.regexp_extract(text, "(?i)" + p, k)) for k in (1, 2)]
     what = lambda x: F.concat(F.lit("What is "), x, F.lit("?"))
     out = F.array().cast("array<string>")
     patterns = [
-        (r"compare\s+(.+?)\s+(?:and|vs\.?|versus)\s+(.+)", "compare"), (r"difference\s+between\s+(.+?)\s+and\s+(.+)", "compare"), (r"(.+?)\s+(?:vs\.?|versus)\s+(.+)", "compare"),
-        (r"(.+?)\s+and\s+(?:also|additionally)\s+(.+)", "parts"), (r"(.+?)\.?\s+(?:also|additionally|furthermore),?\s+(.+)", "parts"), (r"how\s+does\s+(.+?)\s+affect\s+(.+)", "cause"),
-        (r"what\s+is\s+the\s+effect\s+of\s+(.+?)\s+on\s+(.+)", "cause"), (r"relationship\s+between\s+(.+?)\s+and\s+(.+)", "cause"),
+        (r"compare\s+(.+?)\s+(?:and|vs\.?|versus)\s+(.+)", "compare", "compare"), (r"difference\s+between\s+(.+?)\s+and\s+(.+)", "compare", "difference"), (r"(.+?)\s+(?:vs\.?|versus)\s+(.+)", "compare", "vs versus"),
+        (r"(.+?)\s+and\s+(?:also|additionally)\s+(.+)", "parts", "also additionally"), (r"(.+?)\.?\s+(?:also|additionally|furthermore),?\s+(.+)", "parts", "also additionally furthermore"), (r"how\s+does\s+(.+?)\s+affect\s+(.+)", "cause", "affect"),
+        (r"what\s+is\s+the\s+effect\s+of\s+(.+?)\s+on\s+(.+)", "cause", "effect"), (r"relationship\s+between\s+(.+?)\s+and\s+(.+)", "cause", "relationship"),
     ]
-    for pattern, kind in reversed(patterns):
+    for pattern, kind, words in reversed(patterns):
         a, b = both(pattern)
         made = {
             "compare": F.array(what(a), what(b), text), "parts": F.array(F.concat(a, F.lit("?")), F.concat(b, F.lit("?"))),
             "cause": F.array(what(a), F.concat(F.lit("How does "), a, F.lit(" affect "), b, F.lit("?"))),
         }[kind]
-        out = F.when(text.rlike("(?i)" + pattern), made).otherwise(out)
+        # the pattern backtracks over long texts, so it is only tried where one of its words stands
+        may = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in words.split()])
+        out = F.when(may & text.rlike("(?i)" + pattern), made).otherwise(out)
     return out
 
 
