@@ -252,121 +252,109 @@ def _parsed(names: DataFrame, schema: str, parse) -> DataFrame:  # noqa: ANN001
     return names.mapInArrow(run, schema)
 
 
-def link_authors(names: DataFrame, most: float = 1.0) -> DataFrame:
-    """(entity, name): each distinct name and the person it names; see link_names."""
-    pairs_key = ["family", "given"]
-    parsed = _parsed(names, "name string, family string, given string, initials string", parse_author).checkpoint()
-    full = parsed.where("given <> ''").select(*pairs_key).distinct()
-    family = near_tokens(parsed.select(F.col("family").alias("token")).distinct()).checkpoint()
-
-    shorts = F.broadcast(
-        names.sparkSession.createDataFrame([(s, f) for s, fs in _FORMAL.items() for f in fs], "short string, long string")
-    )
-    forms = full.join(shorts, full["given"] == shorts["short"], "left").select(*pairs_key, F.explode(F.array_compact(F.array("given", "long"))).alias("form")).distinct()
-    filed = forms.select(*pairs_key, F.explode(deletes(F.col("form"), 3)).alias("key")).distinct()
-    reach = filed.join(family, filed["family"] == family["a"]).select(*pairs_key, "key", F.col("b").alias("other"))
+def _node(kind: str, *parts: str) -> Column:
+    return F.concat_ws("|", F.lit(kind), *parts)
+
+
+def _author_pairs(parsed: DataFrame, family: DataFrame, shorts: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes (one for each family and given name) and the pairs of them that the assignment accepts."""
+    full = parsed.where("given <> ''").select("family", "given").distinct()
+    forms = full.join(shorts, full["given"] == shorts["short"], "left").select("family", "given", F.explode(F.array_compact(F.array("given", "long"))).alias("form")).distinct()
+    filed = forms.select("family", "given", F.explode(deletes(F.col("form"), 3)).alias("key")).distinct()
+    reach = filed.join(family, filed["family"] == family["a"]).select("family", "given", "key", F.col("b").alias("other"))
     back = filed.select(F.col("family").alias("other"), "key", F.col("given").alias("other_given"))
-    met = reach.join(back, ["other", "key"]).select(*pairs_key, "other", "other_given").distinct().where("(family, given) < (other, other_given)")
-    tokens = met.withColumns({"ta": F.array("given", "family"), "tb": F.array("other_given", "other")})
-    edges = _accepted(tokens, most)
-    node = lambda f, g: F.concat(f, F.lit("|"), g)
-    edges = edges.select(node("family", "given").alias("a"), node("other", "other_given").alias("b")).checkpoint()
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = components(full.select(node("family", "given").alias("node")), both)
-    persons = full.withColumn("node", node("family", "given")).join(roots, "node").select(*pairs_key, "root").checkpoint()
-
-    # names with initials only: the one person of that family name, else of one an edit away, whom they fit
-    known = (
-        persons.join(shorts, persons["given"] == shorts["short"], "left")
-        .select("family", "root", F.substring(F.coalesce("long", "given"), 1, 1).alias("letter"))
-        .distinct()
-    )
+    met = reach.join(back, ["other", "key"]).select("family", "given", "other", "other_given").distinct().where("(family, given) < (other, other_given)")
+    edges = _accepted(met.withColumns({"ta": F.array("given", "family"), "tb": F.array("other_given", "other")}), most)
+    return full.select(_node("author", "family", "given").alias("node")), edges.select(_node("author", "family", "given").alias("a"), _node("author", "other", "other_given").alias("b"))
+
+
+def _author_members(parsed: DataFrame, family: DataFrame, shorts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(entity, name) of all author names: full names by their component, those with initials only by the person they fit."""
+    full = parsed.where("given <> ''").withColumn("node", _node("author", "family", "given")).join(roots, "node").checkpoint()
+    # the one person of that family name, else of one an edit away, whom the initial fits
+    known = full.join(shorts, full["given"] == shorts["short"], "left").select("family", "root", F.substring(F.coalesce("long", "given"), 1, 1).alias("letter")).distinct()
     brief = parsed.where("given = ''").select("family", "initials").distinct()
-    asked = brief.join(family, brief["family"] == family["a"]).select("family", "initials", F.col("b").alias("other"))
+    asked = brief.join(family, brief["family"] == family["a"]).select("family", "initials", F.col("b").alias("other")).checkpoint()
     fitting = (
         asked.where("initials <> ''")
         .join(known.withColumnRenamed("family", "other"), "other")
         .where(F.substring("initials", 1, 1) == F.col("letter"))
         .groupBy("family", "initials")
-        .agg(
-            F.collect_set(F.when(F.col("other") == F.col("family"), F.col("root"))).alias("here"),
-            F.collect_set("root").alias("all"),
-        )
+        .agg(F.collect_set(F.when(F.col("other") == F.col("family"), F.col("root"))).alias("here"), F.collect_set("root").alias("all"))
     )
     one = F.when(F.size("here") == 1, F.col("here")[0]).when((F.size("here") == 0) & (F.size("all") == 1), F.col("all")[0])
-    alone = (
-        asked.join(brief.select(F.col("family").alias("other"), F.col("initials").alias("same")), "other")
-        .where("same = initials")
-        .groupBy("family", "initials")
-        .agg(F.min("other").alias("least"))
-    )
+    same = brief.select(F.col("family").alias("other"), F.col("initials").alias("same"))
+    alone = asked.join(same, "other").where("same = initials").groupBy("family", "initials").agg(F.min("other").alias("least"))
     settled = (
-        brief.join(fitting.select("family", "initials", one.alias("root"), F.lit(True).alias("fits")), ["family", "initials"], "left")
+        brief.join(fitting.select("family", "initials", one.alias("root")), ["family", "initials"], "left")
         .join(alone, ["family", "initials"], "left")
-        .select("family", "initials", F.coalesce("root", F.concat(F.lit("?"), F.coalesce("least", "family"), F.lit("|"), "initials")).alias("root"))
+        .select("family", "initials", F.coalesce("root", _node("?", F.coalesce("least", "family"), "initials")).alias("root"))
     )
-    return (
-        parsed.where("given <> ''").join(persons, pairs_key).select(F.col("root").alias("entity"), "name")
-        .unionByName(parsed.where("given = ''").join(settled, ["family", "initials"]).select(F.col("root").alias("entity"), "name"))
-    )
-
-
-def link_journals(names: DataFrame, most: float = 3.0) -> DataFrame:
-    """(entity, name): each distinct name and the journal it names; see link_names."""
-    parsed = _parsed(names, "name string, closed string, words array<string>, kind string", parse_journal).checkpoint()
-    full = parsed.where("kind = 'full'")
-    titles = full.select(F.col("closed").alias("token")).distinct()
-    pairs = near_tokens(titles)
-    roots = components(titles.select(F.col("token").alias("node")), pairs)
-    first = F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "")
-    whole = full.join(roots, full["closed"] == roots["node"]).select("name", "root", "words", first.alias("skeleton")).checkpoint()
+    short = parsed.where("given = ''").join(settled, ["family", "initials"])
+    return full.select(F.col("root").alias("entity"), "name").unionByName(short.select(F.col("root").alias("entity"), "name"))
 
+
+def _journal_members(parsed: DataFrame, roots: DataFrame, most: float) -> DataFrame:
+    """(entity, name) of all journal names: titles by their component, abbreviations and acronyms by the title they fit."""
+    first = F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "")
+    full = parsed.where("kind = 'full'").withColumn("node", _node("journal", "closed"))
+    whole = full.join(roots, "node").select("name", "root", "words", first.alias("skeleton")).checkpoint()
     acronyms = parsed.where("kind = 'acronym'").select("name", F.col("closed").alias("skeleton"))
     of_acronym = acronyms.join(whole.select("skeleton", "root").distinct(), "skeleton").groupBy("name").agg(F.collect_set("root").alias("fits"))
     brief = parsed.where("kind = 'short'").select("name", F.col("words").alias("ta"), first.alias("skeleton"))
     met = brief.join(whole.select("skeleton", "root", F.col("words").alias("tb")).distinct(), "skeleton")
     of_short = _accepted(met, most).groupBy("name").agg(F.collect_set("root").alias("fits"))
-    fits = of_acronym.unionByName(of_short)
     one = F.when(F.size("fits") == 1, F.col("fits")[0])
-    rest = parsed.where("kind <> 'full'").join(fits, "name", "left").select(
-        F.coalesce(one, F.concat(F.lit("?"), F.array_join("words", " "))).alias("entity"), "name"
+    rest = parsed.where("kind <> 'full'").join(of_acronym.unionByName(of_short), "name", "left").select(
+        F.coalesce(one, _node("?", F.array_join("words", " "))).alias("entity"), "name"
     )
     return whole.select(F.col("root").alias("entity"), "name").unionByName(rest)
 
 
+def link_kinds(names: DataFrame, author_most: float = 1.0, journal_most: float = 3.0) -> DataFrame:
+    """(kind, entity, name) of each distinct name of both kinds; see link_names. names: kind ('author' or 'journal'), name.
+
+    Both kinds share one run of the connected components. The two limits are the largest costs of an accepted assignment.
+    """
+    spark = names.sparkSession
+    ensure_checkpoint_dir(spark)
+    named = names.where("trim(name) <> ''").select("kind", "name").distinct()
+    authors = _parsed(named.where("kind = 'author'").select("name"), "name string, family string, given string, initials string", parse_author).checkpoint()
+    journals = _parsed(named.where("kind = 'journal'").select("name"), "name string, closed string, words array<string>, kind string", parse_journal).checkpoint()
+    shorts = F.broadcast(spark.createDataFrame([(s, f) for s, fs in _FORMAL.items() for f in fs], "short string, long string"))
+    family = near_tokens(authors.select(F.col("family").alias("token")).distinct()).checkpoint()
+    titles = journals.where("kind = 'full'").select(F.col("closed").alias("token")).distinct()
+    nodes, edges = _author_pairs(authors, family, shorts, author_most)
+    of_titles = near_tokens(titles).where("a < b").select(_node("journal", "a").alias("a"), _node("journal", "b").alias("b"))
+    one_way = edges.unionByName(of_titles).checkpoint()
+    both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = components(nodes.unionByName(titles.select(_node("journal", "token").alias("node"))), both)
+    members = _author_members(authors, family, shorts, roots).withColumn("kind", F.lit("author"))
+    return members.unionByName(_journal_members(journals, roots, journal_most).withColumn("kind", F.lit("journal"))).select("kind", "entity", "name")
+
+
 def link_names(names: DataFrame, name: str, kind: str) -> DataFrame:
     """(entity, name): each distinct spelling in the column ``name``, exactly as stored, with the entity it stands for.
 
     kind: 'author' or 'journal'. Nulls, blank strings and placeholders name nobody and give no row. Repeated rows count
     once; other columns are ignored; an empty table gives no rows. Entities are named by one of their parsed spellings.
     """
-    ensure_checkpoint_dir(names.sparkSession)
-    distinct = names.select(F.col(name).cast("string").alias("name")).where("trim(name) <> ''").distinct()
-    return link_authors(distinct) if kind == "author" else link_journals(distinct)
+    return link_kinds(names.select(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"))).select("entity", "name")
 
 
 def name_pairs(members: DataFrame) -> DataFrame:
-    """(name_a, name_b) of each two spellings of one entity, the smaller first in order of bytes."""
+    """(kind, name_a, name_b) of each two spellings of one entity, the smaller first in order of bytes. members: kind, entity, name."""
     a, b = members.withColumnRenamed("name", "name_a"), members.withColumnRenamed("name", "name_b")
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return a.join(b, ["kind", "entity"]).where("name_a < name_b").select("kind", "name_a", "name_b")
 
 
 def p4_members(spark: SparkSession, root: str) -> DataFrame:
     """Each spelling with its entity: kind, entity, name."""
     papers = table(spark, root, "papers")
-    authors = link_names(papers.select(F.explode("authors").alias("name")), "name", "author")
-    journals = link_names(papers, "journal", "journal")
-    return authors.withColumn("kind", F.lit("author")).unionByName(journals.withColumn("kind", F.lit("journal"))).select("kind", "entity", "name")
+    authors = papers.select(F.lit("author").alias("kind"), F.explode("authors").alias("name"))
+    return link_kinds(authors.unionByName(papers.select(F.lit("journal").alias("kind"), F.col("journal").alias("name"))))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of spellings of one person or one journal."""
-    papers = table(spark, root, "papers")
-    authors = name_pairs(link_names(papers.select(F.explode("authors").alias("name")), "name", "author"))
-    journals = name_pairs(link_names(papers, "journal", "journal"))
-    return (
-        authors.withColumn("kind", F.lit("author"))
-        .unionByName(journals.withColumn("kind", F.lit("journal")))
-        .select("kind", "name_a", "name_b")
-        .distinct()
-    )
+    return name_pairs(p4_members(spark, root).checkpoint()).distinct()

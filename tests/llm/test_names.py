@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscale.llm.names import assign, components, link_names, name_pairs, near, near_tokens, parse_author
 from folioscale.session import local_session
@@ -26,8 +27,8 @@ def spark():
 
 def linked(spark, groups, kind, more=()):
     rows = [(n, "x") for g in groups for n in g] + [(n, "x") for n in more]
-    members = link_names(spark.createDataFrame(rows + rows[:3], "name string, entity string"), "name", kind)
-    return {tuple(r) for r in name_pairs(members).collect()}
+    members = link_names(spark.createDataFrame(rows + rows[:3], "name string, entity string"), "name", kind).withColumn("kind", F.lit(kind))
+    return {(r.name_a, r.name_b) for r in name_pairs(members).collect()}
 
 
 def wanted(groups):
