@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscale.llm.pairs import pairs_within
 from folioscale.session import table
 
 #: Letters of other scripts and the Latin letters that they look like. Fixed values.
@@ -113,13 +114,7 @@ def token_name(token: Column) -> Column:
 def alike_pairs(forms: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of different keys of one non-empty form; each pair once."""
     members = forms.where("key is not null and form <> '' and form <> '.pdf'").select("form", "key").distinct()
-    return (
-        members.withColumnRenamed("key", "a")
-        .join(members.withColumnRenamed("key", "b"), "form")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
+    return pairs_within(members, ["form"], "key").select("a", "b").distinct()
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

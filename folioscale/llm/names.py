@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscale.llm.pairs import pairs_within
 from folioscale.session import ensure_checkpoint_dir, table
 
 #: Names that name nobody, folded. Fixed values.
@@ -344,8 +345,7 @@ def link_names(names: DataFrame, name: str, kind: str) -> DataFrame:
 
 def name_pairs(members: DataFrame) -> DataFrame:
     """(kind, name_a, name_b) of each two spellings of one entity, the smaller first in order of bytes. members: kind, entity, name."""
-    a, b = members.withColumnRenamed("name", "name_a"), members.withColumnRenamed("name", "name_b")
-    return a.join(b, ["kind", "entity"]).where("name_a < name_b").select("kind", "name_a", "name_b")
+    return pairs_within(members, ["kind", "entity"], "name").select("kind", F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
 def p4_members(spark: SparkSession, root: str) -> DataFrame:
