@@ -25,18 +25,20 @@ MAX_SOURCES = 100_000
 
 
 @cache
-def _tokenizer():
+def _tokenizer(vocabulary: str | None):
+    import base64
+
     import public_tokenizers
     import tiktoken
-    from tiktoken.load import load_tiktoken_bpe
 
-    ranks = load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("mixing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(texts: list[str | None]) -> list[int]:
-    """Tokens of each text in the public byte_bpe_50k vocabulary; 0 for null."""
-    encode = _tokenizer().encode_ordinary
+def count_tokens(texts: list[str | None], vocabulary: str | None = None) -> list[int]:
+    """Tokens of each text in a vocabulary of ranks, given by its path (the public byte_bpe_50k by default); 0 for null."""
+    encode = _tokenizer(vocabulary).encode_ordinary
     return [len(encode(t)) if t else 0 for t in texts]
 
 
@@ -62,12 +64,15 @@ def water_fill(shares: list[float], caps: list[float], total: float | None = Non
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, buckets: int = 1024
-) -> DataFrame:
+    documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, buckets: int = 1024,
+    epochs: float | None = None, vocabulary: str | None = None, seed: int = 42,
+) -> DataFrame:
     """doc_id, source, tokens, uses (1 to max_repeats) of each record used, with its source's target_share.
 
     targets: source, target_share, max_repeats. Sources without documents get nothing, those without a target are left
-    out. ``total``: tokens wanted; default as in water_fill.
+    out. ``total``: tokens wanted, or ``epochs`` times all tokens of the listed sources; default as in water_fill. Which
+    records stand for a fraction is drawn by hash with ``seed``. ``vocabulary``: path of the tokenizer's ranks.
+    Null and empty texts have no tokens and are never used; repeated rows are records of their own; an empty table gives none.
     """
     wanted = targets.where("source is not null").select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()
     if len(wanted) > MAX_SOURCES:
@@ -80,15 +85,17 @@ def mix(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = pa.array(count_tokens(batch.column(2).to_pylist()), pa.int64())
+            tokens = pa.array(count_tokens(batch.column(2).to_pylist(), vocabulary), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], names=["doc_id", "source", "tokens"])
 
     counted = rows.mapInArrow(run, f"doc_id {kind}, source string, tokens bigint").where("tokens > 0")
     ensure_checkpoint_dir(spark)
-    counted = counted.withColumn("place", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("place", F.lit(buckets))).checkpoint()
+    counted = counted.withColumn("place", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("place", F.lit(buckets))).checkpoint()
 
     sizes = counted.groupBy("source", "bucket").agg(F.sum("tokens").alias("size"))
     have = {r[0]: r[1] for r in sizes.groupBy("source").agg(F.sum("size")).collect()}
+    if total is None and epochs is not None:
+        total = epochs * sum(have.get(s, 0) for s, _, _ in wanted)
     caps = [float(have.get(s, 0) * max(n or 0, 0)) for s, _, n in wanted]
     quotas = water_fill([w or 0.0 for _, w, _ in wanted], caps, total)
     plan = []
@@ -124,6 +131,16 @@ def p8_mix(spark: SparkSession, root: str) -> DataFrame:
     return mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
+def p8_epoch(spark: SparkSession, root: str) -> DataFrame:
+    """The records used when as many tokens are wanted as the listed sources hold: sources that their cap stops leave theirs to the others."""
+    return mix(table(spark, root, "documents"), table(spark, root, "mix_targets"), epochs=1.0)
+
+
+def p8_epoch_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The share of tokens that each target source reaches when as many are wanted as there are."""
+    return shares(p8_epoch(spark, root), table(spark, root, "mix_targets"))
+
+
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     """The share of tokens that each target source reaches."""
     return shares(p8_mix(spark, root), table(spark, root, "mix_targets"))

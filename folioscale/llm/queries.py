@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_leaks": leaks.p7_leaks,
         "p8_mix": mixing.p8_mix,
         "p8_shares": mixing.p8_shares,
+        "p8_epoch": mixing.p8_epoch,
+        "p8_epoch_shares": mixing.p8_epoch_shares,
         "p9_found": repetition.p9_found,
         "p9_shares": repetition.p9_shares,
     }

@@ -31,3 +31,31 @@ def test_shares_are_reached_within_a_record(spark):
     assert len(rows) == len({r.doc_id for r in rows})
     found = {r.source: r.share for r in shares(chosen, targets).collect()}
     assert found["gone"] == 0 and found["a"] == pytest.approx(5 / 9, abs=0.01)
+
+
+def test_a_full_source_leaves_its_share_to_the_others(spark):
+    text = "binding of the labelled protein was measured twice"
+    docs = spark.createDataFrame([(i, text, "a" if i < 50 else "b") for i in range(450)] + [(900, None, "a"), (901, "", "b")], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    rows = mix(docs, targets, epochs=1.0).collect()
+    # 450 records are wanted: a gives its 50 twice, b the 350 that are left, of its 400
+    assert sum(r.uses for r in rows if r.source == "a") == 100 and max(r.uses for r in rows) == 2
+    assert sum(r.uses for r in rows if r.source == "b") == 350
+    same = {(r.doc_id, r.uses) for r in mix(docs, targets, epochs=1.0).collect()}
+    other = {(r.doc_id, r.uses) for r in mix(docs, targets, epochs=1.0, seed=7).collect()}
+    assert same == {(r.doc_id, r.uses) for r in rows} and len(other) == len(same) and other != same
+
+
+def test_nothing_to_mix(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 2), (None, 0.0, None)], "source string, target_share double, max_repeats int")
+    assert mix(docs, targets).count() == 0
+    assert [(r.source, r.tokens) for r in shares(mix(docs, targets), targets).collect() if r.source] == [("a", 0)]
+
+
+def test_the_vocabulary_is_a_parameter():
+    import public_tokenizers
+
+    texts = ["Die Bindung wurde gemessen", None, ""]
+    many = count_tokens(texts, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert many[1:] == [0, 0] and 0 < many[0] < count_tokens(texts)[0]
