@@ -102,12 +102,48 @@ def _statistics(w: Words) -> dict[str, np.ndarray]:
     }
 
 
+def _cover_pairs(words: list[int], places: dict[tuple, list[int]], covered: np.ndarray, seed: int, least: int, changed: int) -> None:
+    """Marks the later copies of any earlier source.
+
+    A copy of ``least`` words or more holds two of its runs ``least - seed`` to ``seed + changed`` words apart, so a second
+    occurrence of such a pair of runs at the same distance is a copy of the first. Runs of the copy beyond its pairs reach
+    less than ``least - seed`` words further: the pair is looked up with these words at either side as well.
+    """
+    n = len(words)
+    run, again = [-1] * n, [False] * n
+    for k, seen in enumerate(places.values()):
+        if len(seen) > 1:
+            for i in seen:
+                run[i], again[i] = k, i > seen[0]
+    starts = [i for i, k in enumerate(run) if k >= 0]
+    for j in range(max(1, least - seed), seed + changed + 1):
+        pairs = [i for i in starts if i + j < n and run[i + j] >= 0]
+        held = np.concatenate(([0], np.cumsum(covered))).tolist()
+        for before in range(least - seed):
+            for after in range(least - seed):
+                size = before + j + seed + after
+                # only pairs that a later copy not yet covered may hold
+                asked = {
+                    (run[i], run[i + j]) for i in pairs
+                    if again[i] and again[i + j] and i >= before and i - before + size <= n and held[i - before + size] - held[i - before] < size
+                }
+                known = set()
+                for i in pairs if asked else ():
+                    begin = i - before
+                    if begin < 0 or begin + size > n or (run[i], run[i + j]) not in asked:
+                        continue
+                    key = (run[i], run[i + j], *words[begin:i], *words[begin + size - after : begin + size])
+                    if key in known:
+                        covered[begin : begin + size] = True
+                    known.add(key)
+
+
 def exact_share(words: list[int], seed: int = SEED, least: int = LEAST, changed: int = CHANGED) -> float:
     """Share of words in second or later copies of a run of at least ``least`` words.
 
     A copy is followed from its source word by word; stretches that agree in ``seed`` words on one distance and are
-    at most ``changed`` words apart are one copy. Sources are all earlier occurrences: the first and the nearest, and
-    the others of each run that these two leave uncovered.
+    at most ``changed`` words apart are one copy. Sources are all earlier occurrences: first the first and the nearest
+    of each run, then, where these leave a repeated run uncovered, all others by _cover_pairs. Time is linear in the text.
     """
     n = len(words)
     if n < least:
@@ -134,16 +170,8 @@ def exact_share(words: list[int], seed: int = SEED, least: int = LEAST, changed:
 
     for starts in at.values():
         cover(starts)
-    others = set()
-    for seen in places.values():
-        for k in range(2, len(seen)):
-            if not covered[seen[k] : seen[k] + seed].all():
-                others.update(seen[k] - i for i in seen[1 : k - 1])
-    if others:
-        ids = np.asarray(words)
-        for d in others:
-            same = np.concatenate(([0], np.cumsum(ids[d:] == ids[: n - d])))
-            cover((np.flatnonzero(same[seed:] - same[:-seed] == seed) + d).tolist())
+    if any(len(seen) > 2 for seen in places.values()):
+        _cover_pairs(words, places, covered, seed, least, changed)
     return float(covered.mean())
 
 

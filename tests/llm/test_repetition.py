@@ -73,3 +73,47 @@ def test_the_list_on_held_out_documents():
 
 def test_no_documents(documents):
     assert measure_repetition(documents.limit(0)).count() == 0
+
+
+def test_all_sources_against_all_distances():
+    import random
+
+    import numpy as np
+
+    def brute(words, seed=5, least=8, changed=2):
+        ids, covered = np.array(words), np.zeros(len(words), dtype=bool)
+        for d in range(1, len(words)):
+            same = ids[d:] == ids[:-d]
+            starts = [i + d for i in range(len(same) - seed + 1) if same[i : i + seed].all()]
+            chains = []
+            for i in starts:
+                if chains and i <= chains[-1][1] + changed:
+                    chains[-1][1] = i + seed
+                else:
+                    chains.append([i, i + seed])
+            for a, b in chains:
+                if b - a >= least:
+                    covered[a:b] = True
+        return covered.mean() if len(words) >= least else 0.0
+
+    rng = random.Random(2)
+    for trial in range(150):
+        phrases = [[rng.randint(0, 30) for _ in range(rng.randint(5, 11))] for _ in range(4)]
+        words = []
+        while len(words) < 120:
+            p = list(rng.choice(phrases))
+            if rng.random() < 0.4:
+                p[rng.randrange(len(p))] = rng.randint(100, 130)
+            words += p + [rng.randint(200, 400) for _ in range(rng.choice((0, 0, 1, 2, 5)))]
+        assert exact_share(words) == pytest.approx(brute(words)), trial
+
+
+def test_a_very_long_text_of_one_short_phrase_ends():
+    import time
+
+    phrase, words = [1, 2, 3, 4, 5], []
+    for k in range(40_000):
+        words += [*phrase, 1000 + 3 * k, 1001 + 3 * k, 1002 + 3 * k]
+    begin = time.time()
+    assert exact_share(words) == 0.0
+    assert time.time() - begin < 30
