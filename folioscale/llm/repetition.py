@@ -110,31 +110,40 @@ def _cover_pairs(words: list[int], places: dict[tuple, list[int]], covered: np.n
     less than ``least - seed`` words further: the pair is looked up with these words at either side as well.
     """
     n = len(words)
-    run, again = [-1] * n, [False] * n
-    for k, seen in enumerate(places.values()):
-        if len(seen) > 1:
-            for i in seen:
-                run[i], again[i] = k, i > seen[0]
-    starts = [i for i, k in enumerate(run) if k >= 0]
+    run, again = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=bool)
+    many = [seen for seen in places.values() if len(seen) > 1]
+    at = np.array([i for seen in many for i in seen], dtype=np.int64)
+    run[at] = np.repeat(np.arange(len(many)), [len(seen) for seen in many])
+    again[at] = True
+    again[[seen[0] for seen in many]] = False
+    starts = np.flatnonzero(run >= 0)
+    held = np.concatenate(([0], np.cumsum(covered)))
+    once_more = np.flatnonzero(again)
+    if (held[once_more + seed] - held[once_more] == seed).all():
+        return  # every later occurrence of a run is covered, and a copy holds nothing else
     for j in range(max(1, least - seed), seed + changed + 1):
-        pairs = [i for i in starts if i + j < n and run[i + j] >= 0]
-        held = np.concatenate(([0], np.cumsum(covered))).tolist()
+        first = starts[starts + j < n]
+        first = first[run[first + j] >= 0]
+        later = again[first] & again[first + j]
+        if not later.any():
+            continue
+        pair = run[first] * len(many) + run[first + j]
+        held = np.concatenate(([0], np.cumsum(covered)))
         for before in range(least - seed):
             for after in range(least - seed):
                 size = before + j + seed + after
+                inside = (first >= before) & (first - before + size <= n)
                 # only pairs that a later copy not yet covered may hold
-                asked = {
-                    (run[i], run[i + j]) for i in pairs
-                    if again[i] and again[i + j] and i >= before and i - before + size <= n and held[i - before + size] - held[i - before] < size
-                }
+                begin = np.where(inside, first - before, 0)
+                asked = later & inside & (held[np.minimum(begin + size, n)] - held[begin] < size)
+                if not asked.any():
+                    continue
                 known = set()
-                for i in pairs if asked else ():
-                    begin = i - before
-                    if begin < 0 or begin + size > n or (run[i], run[i + j]) not in asked:
-                        continue
-                    key = (run[i], run[i + j], *words[begin:i], *words[begin + size - after : begin + size])
+                for i, p in zip(first[inside & np.isin(pair, pair[asked])].tolist(), pair[inside & np.isin(pair, pair[asked])].tolist()):
+                    begin_, end = i - before, i - before + size
+                    key = (p, *words[begin_:i], *words[end - after : end])
                     if key in known:
-                        covered[begin : begin + size] = True
+                        covered[begin_:end] = True
                     known.add(key)
 
 
