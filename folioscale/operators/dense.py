@@ -45,21 +45,24 @@ def predicate(**wanted: list | None) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, key: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
     """query_id, rank from 1, key, score (cosine to six decimals): the exact ``top`` of each query.
 
-    queries: ``query`` (bigint) and ``vector``. Null vectors, and those of another length than the queries, are no answers; a
+    queries: ``query`` (bigint) and ``vector``, of any number; more than ``MAX_QUERY_VALUES`` numbers are asked in parts by hash of
+    the id, each a scan. Null vectors, and those of another length than the queries, are no answers; a
     vector without length has the score 0. Equal scores go by key.
     """
     spark = vectors.sparkSession
-    rows = queries.where(F.col(query).isNotNull() & F.col(vector).isNotNull()).select(F.col(query).cast("bigint"), F.col(vector).cast("array<double>"))
-    asked = rows.collect()
+    rows = queries.where(F.col(query).isNotNull() & F.col(vector).isNotNull()).select(F.col(query).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"))
     schema = "query_id bigint, id bigint, score double"
-    size = len(asked[0][1]) if asked else 0
-    asked = [r for r in asked if len(r[1]) == size]
-    each = max(1, MAX_QUERY_VALUES // max(1, size))
+    size, number = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    rows = rows.where(F.size("v") == size)
+    parts = max(1, -(-size * number // MAX_QUERY_VALUES))
     found = None
     source = vectors.where(F.size(vector) == size).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    for at in range(0, len(asked), each):
-        ids = [r[0] for r in asked[at : at + each]]
-        q = np.array([r[1] for r in asked[at : at + each]], dtype=np.float64).reshape(len(ids), size)
+    for k in range(parts):
+        asked = (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == k)).collect()
+        if not asked:
+            continue
+        ids = [r[0] for r in asked]
+        q = np.array([r[1] for r in asked], dtype=np.float64).reshape(len(ids), size)
         shared = spark.sparkContext.broadcast(q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))
 
         def score(batches: Iterator[pa.RecordBatch], ids=ids, shared=shared, block: int = 8192) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -30,6 +30,8 @@ STOPWORDS = tuple(
 TOKEN = r"[a-z]+\d*|\d+\.?\d*[a-z]*"
 #: Most weights (terms times questions) that one worker holds for a slice of the questions.
 MAX_WEIGHTS = 16_000_000
+#: Most characters of questions that the driver holds at once; a larger batch is asked in parts by hash of the id.
+MAX_QUESTION_CHARS = 64_000_000
 _TOKEN, _STOP = re.compile(TOKEN), frozenset(STOPWORDS)
 
 
@@ -110,13 +112,26 @@ def search(
 ) -> DataFrame:
     """query_id, rank from 1, doc_id, source, score: the ``top`` documents of each question, ``per_source`` of one source at most.
 
-    documents: ``key`` (a number or a string), ``source``, ``text``; questions: query_id, text, a batch whose terms the driver holds.
+    documents: ``key`` (a number or a string), ``source``, ``text``; questions: query_id, text, a batch of any size.
     Statistics are those of all documents, empty ones included. Documents that share no term with a question are no
     answer. Documents without a source share one cap; a cap of 0 is none. Equal scores (to six decimals) go by key. Null
     questions and those without terms have no answers; neither have empty tables.
     """
+    asked = questions.where("query_id is not null and text is not null").select("query_id", "text")
+    chars = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(chars) // MAX_QUESTION_CHARS))
+    found = None
+    for k in range(parts):
+        part = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)
+        best = _search(documents, part, per_source, top, k1, b, key, source, text)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _search(documents: DataFrame, questions: DataFrame, per_source: int, top: int, k1: float, b: float, key: str, source: str, text: str) -> DataFrame:
+    """search for questions that the driver holds."""
     spark = documents.sparkSession
-    asked = {q: Counter(split_tokens(t)) for q, t in questions.where("query_id is not null").select("query_id", "text").collect()}
+    asked = {q: Counter(split_tokens(t)) for q, t in questions.collect()}
     asked = {q: c for q, c in asked.items() if c}
     kind = questions.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, doc_id {documents.schema[key].dataType.simpleString()}, source string, score double"
