@@ -54,7 +54,7 @@ def _is_prose(line: str) -> bool:
 
 
 def _may_head(line: str) -> bool:
-    return len(line) <= 60 and not _ENDED.search(line.replace(" et al.", "")) and not line[:1].islower() and not _ITEM.match(line)
+    return len(line) <= 60 and line[-1:] not in "-‐\xad¬" and not _ENDED.search(line.replace(" et al.", "")) and not line[:1].islower() and not _ITEM.match(line)
 
 
 def unpaged(text: str) -> tuple[str, int]:
@@ -102,19 +102,20 @@ def unpaged(text: str) -> tuple[str, int]:
                 break
     if not gone:
         return text, 0
-    kept: list[str] = []
+    kept: list[list[str]] = []  # lines as pieces, so one that is torn at every page is put together once
     torn = False
     for i, line in enumerate(lines):
         if i in gone or not line.strip() and any(j in gone for j in (i - 1, i + 1)):
             torn |= i in gone
             continue
-        last = kept[-1].rstrip() if kept else ""
-        if torn and last and not _ENDED.search(last) and last[-1] not in "-‐\xad¬" and line.strip():
-            kept[-1] = f"{last} {line.lstrip()}"
+        last = kept[-1][-1].rstrip() if kept else ""
+        if torn and last and not _ENDED.search(last[-20:]) and last[-1] not in "-‐\xad¬" and line.strip():
+            kept[-1][-1] = last
+            kept[-1].append(line.lstrip())
         else:
-            kept.append(line)
+            kept.append([line])
         torn = False
-    return "\n".join(kept), len(gone)
+    return "\n".join(" ".join(pieces) for pieces in kept), len(gone)
 
 
 def unwrapped(text: str) -> str:
@@ -126,14 +127,14 @@ def unwrapped(text: str) -> str:
     for part in re.split(r"\n\s*\n", text):
         lines = [s.rstrip() for s in part.split("\n")]
         long = max(map(len, lines)) if lines else 0
-        joined = lines[:1]
+        joined = [lines[:1]]
         for a, b in zip(lines, lines[1:]):
             flows = (_is_prose(a) or _is_prose(b)) and not _ITEM.match(a) and not _ITEM.match(b) and (len(a) >= 0.6 * long or (b[:1].islower() and not _ENDED.search(a)))
             if flows:
-                joined[-1] = f"{joined[-1]} {b.lstrip()}"
+                joined[-1].append(b.lstrip())
             else:
-                joined.append(b)
-        out.append("\n".join(joined))
+                joined.append([b])
+        out.append("\n".join(" ".join(pieces) for pieces in joined))
     return "\n\n".join(out)
 
 

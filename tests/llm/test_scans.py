@@ -58,3 +58,12 @@ def test_confusions_are_found_by_their_difference(spark):
     wrong = [("ti5sue", 9, "tissue"), ("bincling", 3, "binding"), ("modem", 2, "modern"), ("reclucecl", 1, "reduced"), ("rcduccd", 1, "reduced"), ("tisue", 1, None)]
     vocabulary = spark.createDataFrame([*known, *((a, b) for a, b, _ in wrong)], "key string, df bigint")
     assert dict(scans.corrections(vocabulary).collect()) == {a: c for a, _, c in wrong if c}
+
+
+def test_a_very_long_text_ends():
+    import time
+
+    begin = time.time()
+    text, gone = scans.body_of("Uptake of the precursor by cells was mea-\nsured in the tissue and binding of the\n12\n" * 20_000)
+    assert gone == 20_000 and text.count("mea\x01sured") == 20_000
+    assert time.time() - begin < 10 and "\n" not in text.strip()
