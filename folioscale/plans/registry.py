@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscale.operators import lexical
-from folioscale.plans import answers, chunks, collections, documents, extraction, search, streams, texts
+from folioscale.plans import answers, chunks, collections, documents, extraction, parts, search, streams, texts
 
-MODULES = (search, documents, collections, texts, extraction, streams, answers, chunks)
+MODULES = (search, documents, collections, texts, extraction, streams, answers, chunks, parts)
 
 
 def _all() -> dict[str, tuple]:
