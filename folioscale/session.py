@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -29,6 +32,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def _own_folder(what: str) -> str:
+    """A temporary folder of this process, removed when Python ends."""
+    folder = tempfile.mkdtemp(prefix=f"folioscale-{what}-", dir=os.environ.get("TMPDIR"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that checkpoint() writes to.
 
@@ -43,20 +53,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="folioscale-checkpoint-", dir=os.environ.get("TMPDIR"))
+        named = _own_folder("checkpoint")
     sc.setCheckpointDir(named)
     return named
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors' Python workers, once per application; they need no installed copy."""
+    """Send this package to the executors' Python workers, once per application; they need no installed copy.
+
+    The archive goes through the shared folder that ``spark.checkpoint.dir`` names; without one, the driver serves it.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_folioscale_shipped", None) != sc.applicationId:
         here = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="folioscale-")) / "folioscale.zip"
-        with zipfile.ZipFile(archive, "w") as out:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as out:
             for path in sorted(here.rglob("*.py")):
                 out.write(path, path.relative_to(here.parent))
-        sc.addPyFile(str(archive))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder("code")
+        target = f"{shared}/{sc.applicationId}/folioscale.zip"
+        where = spark._jvm.org.apache.hadoop.fs.Path(target)
+        stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+        stream.write(bytearray(data.getvalue()))
+        stream.close()
+        sc.addPyFile(target)
         sc._folioscale_shipped = sc.applicationId
     return spark
