@@ -502,3 +502,19 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 def p2_texts(spark: SparkSession, root: str) -> DataFrame:
     """The clean text and the kinds of markup of every record, each once."""
     return clean_markup(p2_records(spark, root), ["src", "rec_id"], "text").select("src", "rec_id", F.array_join("kinds", ",").alias("kinds"), "clean").distinct()
+
+
+#: The kinds of markup as one regular expression each: a plain statement of what p2_found must find, for its check only.
+_SQL_KINDS = (
+    r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[^<>]*)?/?>|<!(?:--|DOCTYPE\b|\[CDATA\[)|<\?xml\b", r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});",
+    r"(?m)^ {0,3}#{1,6}[ \t]+\S|^={1,6}[^=\n].*={1,6}[ \t]*$", r"\*\*\S|\*[^\s*](?:[^*\n]*[^\s*])?\*|(?:^|\W)__?[^\s_](?:[^_\n]*[^\s_])?__?(?:\W|$)|~~\S|''",
+    r"!?\[[^\]\[\n]*\]\((?:[^()\n]|\([^()\n]*\))*\)|\[\[|\]\]", r"`[^`\n]+`|(?m)^(?:```|~~~)", r"(?m)^[ \t]*[-*+][ \t]+\S|^[*#:;]+[ \t]*\S.*\n[*#:;]+[ \t]*\S",
+    r"(?m)^[ \t]*1[.)][ \t]+\S.*\n[ \t]*2[.)][ \t]+\S", r"(?m)^>[ \t]?\S", r"(?m)^\|.*\|[ \t]*$|^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*\|", r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$",
+    r"\{\{|\}\}|\{\||\|\}", r"\\[A-Za-z]+|\\[\[\](){}%&$#_~^\\,;]|\$\$|\$[^\s$0-9][^$\n]*\$|\$[^$\n]*[\\^_{}][^$\n]*\$",
+)
+
+
+def p2_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    marked = " OR ".join(f"regexp_matches(text, {quoted(p)})" for p in _SQL_KINDS)
+    return f"SELECT DISTINCT src, rec_id FROM (SELECT 'chunk' AS src, chunk_id AS rec_id, text FROM chunks UNION ALL SELECT 'extract', paper_id, markdown FROM extracts) WHERE {marked}"

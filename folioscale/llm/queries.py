@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": conversations.P1_SQL, "p3_found": lookalikes.p3_sql(), "p5_found": splitting.P5_SQL}
+    return {"p1_found": conversations.P1_SQL, "p2_found": markup.p2_sql(), "p3_found": lookalikes.p3_sql(), "p5_found": splitting.P5_SQL, "p9_found": repetition.P9_SQL}

@@ -330,3 +330,19 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     """The repeated share of every document."""
     return measure_repetition(table(spark, root, "documents"))
+
+
+#: The measure by all distances at once: every two equal runs of five words, chained where they keep their distance.
+P9_SQL = r"""
+WITH raw AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\s\p{Z}]+')) AS w, generate_subscripts(regexp_split_to_array(text, '[\s\p{Z}]+'), 1) AS k FROM documents WHERE text IS NOT NULL),
+plain AS (SELECT doc_id, k, CASE WHEN regexp_matches(w, '^(?:\[\d+(?:[,;–-]\d+)*[\],;]?|\d+(?:[,;–-]\d+)*\])[.,):;!?]*$') THEN ''
+  ELSE regexp_replace(regexp_replace(lower(w), '[^\p{L}\p{N}]+', '', 'g'), '\p{Nd}+', '0', 'g') END AS w FROM raw),
+words AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM plain WHERE w <> ''),
+runs AS (SELECT doc_id, pos, n, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS run FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+pairs AS (SELECT b.doc_id, b.n, b.pos - a.pos AS d, b.pos AS s FROM runs a JOIN runs b ON a.doc_id = b.doc_id AND a.run = b.run AND a.pos < b.pos),
+links AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, d ORDER BY s) <= 7 THEN 0 ELSE 1 END AS fresh FROM pairs),
+chained AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, d ORDER BY s ROWS UNBOUNDED PRECEDING) AS chain FROM links),
+copies AS (SELECT doc_id, n, min(s) AS a, max(s) + 5 AS b FROM chained GROUP BY doc_id, n, d, chain HAVING max(s) + 5 - min(s) >= 8),
+reach AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM copies)
+SELECT doc_id FROM reach GROUP BY doc_id, n HAVING sum(greatest(0, b - greatest(a, coalesce(before, a)))) >= 0.3 * n
+"""
