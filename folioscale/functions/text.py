@@ -261,3 +261,22 @@ def judgment(raw: Column) -> Column:
     """The grade (0 to 2) in the first JSON object of an answer; 0 for any other answer."""
     grade = F.try_variant_get(F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)), "$.grade", "int")
     return F.when(grade.isin(0, 1, 2), grade).otherwise(0)
+
+
+def truncated(text: Column, words: int) -> Column:
+    """The first ``words`` words, back to their last sentence end where that lies past the half; the whole text if it is shorter."""
+    head = F.regexp_extract(F.coalesce(text, F.lit("")), rf"^\s*(?:\S+\s+){{0,{words - 1}}}\S+", 0)
+    ends = reduce(lambda a, b: a | b, [F.contains(head, F.lit(f"{mark} ")) for mark in ".?!"])
+    cut = F.greatest(*(F.when(F.contains(head, F.lit(f"{mark} ")), F.length(head) - F.instr(F.reverse(head), F.lit(f" {mark}"))).otherwise(0) for mark in ".?!"))
+    return F.when(F.length(head) >= F.length(F.rtrim(text)), text).when(ends & (cut > F.length(head) * 0.5), F.substring(head, F.lit(1), cut)).otherwise(head)
+
+
+def with_note(answer: Column, confidence: Column, invalid: Column, least: float = 0.7) -> Column:
+    """The answer with a note where its citations' mean confidence is under ``least`` and some do not hold."""
+    note = F.concat(F.lit("\n\nNote: "), invalid.cast("string"), F.lit(" of the citations could not be confirmed in their sources."))
+    return F.when((confidence < least) & (invalid > 0), F.concat(answer, note)).otherwise(answer)
+
+
+def merged_types(lists: list[Column]) -> Column:
+    """All chunk types of several classes, each once, in order of first mention."""
+    return F.array_distinct(F.flatten(F.array(*lists)))
